@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, sp_encode, token_count, url_filter
+from . import jaccard, language_id, sharding, sp_encode, token_count, url_filter
 from .common import table
 
 RULES = [url_filter.Rule(text, action) for action, text in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))]
@@ -22,6 +22,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("doc_id", "size", F.crc32("text").alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.label(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_encode.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
