@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_id, sharding, sp_encode, token_count, url_filter
+from . import decontaminate, embedding_dedup, html_extract, jaccard, language_id, license_scan, sharding, sp_encode, token_count, url_filter
 from .common import table
 
 RULES = [url_filter.Rule(text, action) for action, text in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))]
@@ -17,6 +17,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = sharding.external_shuffle(table(spark, sf_dir, "documents"), 40)
     return written.select("doc_id", "size", F.crc32("text").alias("text_crc32"), "law", "shard", "slot", "grown_shard")
@@ -30,6 +34,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_encode.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
