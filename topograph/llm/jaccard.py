@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, cut, drop, map_texts, mix, slices
+from .common import BROADCAST_IDS, GOLDEN, cut, drop, map_texts, mix, slices, without
 from .components import components
 from .shingles import SLICE, shingle_sets
 
@@ -38,8 +38,6 @@ BINS = 64
 FEW = 24
 #: Sets that a block of a hot signature holds, and pairs that a group verifies.
 BLOCK, GROUP = 2000, 4_000
-#: Ids that may be broadcast to select texts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
 #: How often an element of a set is taken to be in another set by accident, in the cost model.
 ACCIDENT = 0.05
 #: Sets of a thread's past of which it remembers that they were filed already.
@@ -349,3 +347,14 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
     least = named.groupBy("part").agg(F.min("rep_id").alias("component_id"))
     named = named.join(least, "part").select("key", "component_id")
     return thin.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the smallest id of each component, once; rows with a null id stay."""
+    found = cut(jaccard_components(docs, k, num, den, doc_id, text), "components")
+    kept = without(docs, found.filter("doc_id <> component_id").select("doc_id"), doc_id)
+    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again.select(F.col("doc_id").alias("again_")), kept[doc_id] == F.col("again_"), "left_semi")
+    return without(kept, again, doc_id).unionByName(twice.dropDuplicates([doc_id]))
