@@ -1,13 +1,49 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: documents in, token ids of what is worth keeping out.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next one's docs. All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from topograph.llm import decontaminate, jaccard, language_id, sp_encode
+from topograph.llm.common import cut, table, without
+
+#: A document whose language is less certain than this goes.
+LEAST_SCORE = 0.5
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model tells; those without a letter, and uncertain ones, go."""
+    told = language_id.label(docs)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 or more of its five-word shingles."""
+    return jaccard.one_of_each(docs, 5, 80, 100)
+
+
+def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of the benchmark."""
+    return without(docs, decontaminate.leaked(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "doc_id")
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, piece_ids, n_pieces and round_trip."""
+    return sp_encode.encode_decode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+
 
-STAGES: list = []
+STAGES = [("language_id", keep_known_languages), ("jaccard_join", keep_one_of_near_copies), ("decontamination", keep_unleaked), ("sentencepiece", encode_texts)]
+#: The classifier, the tokenizer and the template windows are not SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
     return docs
