@@ -91,3 +91,15 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Reco
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+#: Ids that a join may broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df's rows whose key is not among ids, a frame of one column. Rows with a null key stay."""
+    gone = cut(ids.toDF("gone_").distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return df.join(gone, df[key] == gone["gone_"], "left_anti")
