@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -69,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, column: str, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the text of a slice stays near budget bytes; a longer text has a slice of its own."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if i > start and held + n > budget:
