@@ -72,7 +72,7 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
                 state[nxt] = 1
                 trail.append(nxt)
                 todo.append(iter(after.get(nxt, ())))
-    return pd.DataFrame({"cycle": [[*c, c[0]] for c in found], "length": [len(c) for c in found], "ord": range(len(found))})
+    return pd.DataFrame({"cycle": pd.Series([[*c, c[0]] for c in found], dtype=object), "length": pd.Series([len(c) for c in found], dtype="int32"), "ord": pd.Series(range(len(found)), dtype="int32")})
 
 
 def back_edge_cycles(graph: Graph, relation: str = "imports", scope: str | None = None) -> DataFrame:

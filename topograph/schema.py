@@ -6,11 +6,6 @@ NODES = "id string, name string, kind string, file_path string, line int, end_li
 EDGES = "edge_id long, src string, dst string, relation string"
 FILES = "path string, content string, mtime timestamp, sha256 string, lang string, seq long"
 RULES = "ord int, from string, to string, description string"
-FACTS = (
-    "file_path string, ord int, fact string, name string, kind string, line int, end_line int, parent_name string, source_name string, target_name string, relation string, "
-    "specifier string, imported_name string, local_name string, is_namespace boolean, caller_name string, caller_line int, callee_name string, callee_object string"
-)
-
 KINDS = ("file", "component", "function", "class", "interface", "type", "variable", "api_endpoint")
 RELATIONS = ("imports", "calls", "contains", "implements", "extends")
 MODULE_KINDS = ("file", "component")
