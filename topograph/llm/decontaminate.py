@@ -114,7 +114,7 @@ class Benchmark:
                 continue
             h, use = canon.windows(codes, slot, w)
             if use.any():
-                self.items[number] = item, int(use.sum()), w, slot, [canon.cores[i] for i in at]
+                self.items[number] = item, int(use.sum()), w, codes, np.flatnonzero(slot).tolist(), [canon.cores[i] for i in at]
                 for q in np.flatnonzero(use).tolist():
                     where[w][int(h[q])].append((number, q))
         self.by_size = {w: (np.array(sorted(t), np.uint64), dict(t)) for w, t in where.items()}
@@ -130,23 +130,27 @@ class Benchmark:
                     hits[number].append((p, q))
         found = []
         for number, pairs in hits.items():
-            item, total, w, own, cores = self.items[number]
+            item, total, w, own, slots, cores = self.items[number]
             if len({q for _, q in pairs}) < COVER * total:
                 continue
             by_shift: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for p, q in pairs:
                 by_shift[p - q].append((p, q))
             shifts = sorted(by_shift)
+            alone = {shift: len({q for _, q in part}) / total for shift, part in by_shift.items()}
             near = [[x for s in shifts if abs(s - base) <= w for x in by_shift[s]] for base in shifts]
             best = None
             for part in [by_shift[s] for s in shifts] + (near if len(shifts) > 1 else []):
                 cover = len({q for _, q in part}) / total
                 if cover >= COVER and (best is None or cover > best[0]):
+                    # all slots of the item count, also those between the windows
                     forth, back = defaultdict(set), defaultdict(set)
-                    for p, q in part:
-                        for j in range(w):
-                            if own[q + j]:
-                                a, b = cores[q + j], canon.cores[at[p + j]]
+                    for shift in {p - q for p, q in part}:
+                        inside = {q + j for p, q in part if p - q == shift for j in range(w)}
+                        for q in slots:
+                            p = q + shift
+                            if (q in inside or cover == alone.get(shift)) and 0 <= p < len(at) and slot[p] and codes[p] == own[q]:
+                                a, b = cores[q], canon.cores[at[p]]
                                 forth[a].add(b), back[b].add(a)
                     if all(len(x) == 1 for x in (*forth.values(), *back.values())):
                         best = cover, all(a in b for a, b in forth.items()), len(forth)
