@@ -30,6 +30,7 @@ def debounce(events: DataFrame, gap: str = "100 milliseconds", *keys: str) -> Da
 
 def on_changes(events: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "100 milliseconds", late: str = "1 second", **trigger) -> StreamingQuery:
     """Start the feed: handler gets each micro-batch of flushed bursts. Stop it with the query's stop(); bursts not yet flushed are dropped."""
-    flushed = debounce(watched(events).withWatermark("ts", late), gap)
+    feed = F.substring("path", 1, 0)  # session windows of a stream need a key; this one is empty for all, and not a literal
+    flushed = debounce(watched(events).withWatermark("ts", late).withColumn("feed", feed), gap, "feed").drop("feed")
     writer = flushed.writeStream.outputMode("append").foreachBatch(handler).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
