@@ -182,3 +182,23 @@ def test_config():
 def test_sfc_blocks():
     script, lang, tags, lines = extract.sfc_blocks("<script>let a</script>\n<NavBar/><my-button/><div/>\n<style>x{}</style>", "a.svelte")
     assert (script, lang, tags, lines) == ("let a", "ts", ["NavBar", "my-button", "MyButton"], 3)
+
+
+def test_watch(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def old():\n    pass\n")
+    (src / "b.py").write_text("from .a import old\n\n\ndef run():\n    old()\n")
+    e = Engine(spark)
+    e.index(str(src))
+    (src / "a.py").write_text("def new():\n    pass\n")
+    (src / "b.py").unlink()
+    spark.createDataFrame([("a.py", 0), ("b.py", 0), ("c.py", 100)], "path string, t long").selectExpr("path", "timestamp_seconds(1700000000 + t) as ts").coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema("path string, ts timestamp").parquet(str(tmp_path / "events"))
+    q = e.watch(stream, str(tmp_path / "state"), availableNow=True)
+    q.awaitTermination(240)
+    assert q.exception() is None
+    assert {r["id"] for r in e.graph.nodes.collect()} == {"a.py", "a.py#new:1"}
+    e.cancel()
+    e.clear()
+    assert e.graph.size() == 0
