@@ -166,6 +166,8 @@ def test_html(spark):
         5: (page("<main><p>Main text</p></main><p>outside</p>"), "Main text"), 6: ("<article><p>cut &am", "cut &am"), 7: ("<article><p>cut<p cla", "cut"), 8: ("<article><!-- c <p>no</p> --><p>1 < 2 &lt; 3</p></article>", "1 < 2 < 3"),
         9: (page("<div class=sidebar>s</div><div role=navigation>n</div><article><aside>x</aside><p>" + "long " * 20000 + "</p></article>"), ("long " * 20000).strip()),
     }
+    cases[10] = (page("<div class='site has-sidebar'><div id=sidebar>s</div><article><p>kept</p></article></div><div id=comments><article><p>c</p></article></div>"), "kept")
+    cases[11] = (page("<aside><article>a</article></aside><article><header><h2>H</h2></header>b<footer>f</footer></article><article>c</article>"), "H\nb\nc")
     boiler = "<div>All rights belong to the host of this fine site</div>"
     for i in range(6):
         cases[20 + i] = (page(f"{boiler}<p>Unique words of page number {i} alone and {i} more</p><p>Sign up and stay in touch with us every single day</p>"), f"Unique words of page number {i} alone and {i} more")

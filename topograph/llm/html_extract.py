@@ -42,24 +42,26 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr sidebar menu navbar nav navigation breadcrumb breadcrumbs "
     "footer header masthead comment comments disqus notice notices notification popup modal newsletter subscribe subscription share sharing social related recommended widget toolbar pagination pager skip".split()
 )
+COMMENTS = frozenset(["comment", "comments", "disqus"])
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def hinted(attributes: str, in_article: bool) -> bool:
+def hints(attributes: str, in_article: bool) -> set[str]:
+    """Words of class, id and role that name a part that isn't the article."""
+    out = set()
     for kind, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         if kind.lower() == "role":
-            if value.lower() in ROLES:
-                return True
-        elif any(w.lower() in HINTS and not (in_article and w.lower() == "header") for w in NAME.findall(value)):
-            return True
-    return False
+            out |= {value.lower()} & ROLES
+        else:
+            out |= {w.lower() for w in NAME.findall(value)} & HINTS
+    return out - {"header"} if in_article else out
 
 
 def read(page: str) -> tuple[list[str], list[str], list[bool]]:
     """Blocks of the article or main element, if any; all other blocks, and which of those structure leaves open."""
-    stack: list[tuple[str, int]] = []  # element, and 1 boilerplate, 2 main, 4 article, with what is around it
+    stack: list[tuple[str, int]] = []  # element, and 1 boilerplate, 2 main, 4 article, 8 boilerplate whatever is inside, with what is around it
     now, held, begun = 0, [], False
     article, main, outside, is_open = [], [], [], []
     seen_article = seen_main = False
@@ -113,14 +115,16 @@ def read(page: str) -> tuple[list[str], list[str], list[bool]]:
                 now = stack[-1][1] if stack else 0
         elif not attributes.endswith("/"):
             own = now
-            if name in CHROME or (name == "header" and not now & 4) or (attributes and name not in ("body", "html", "article", "main") and hinted(attributes, bool(now & 4))):
-                own |= 1
-            if name == "article":
-                own |= 4 | (1 if attributes and hinted(attributes, True) else 0)
-                seen_article |= not own & 1
-            if name == "main" or (attributes and re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I)):
-                own |= 2
-                seen_main |= not own & 1
+            if name in CHROME or (name == "header" and not now & 4):
+                own |= 1 | 8
+            elif attributes and name not in ("body", "html", "main") and (found := hints(attributes, bool(now & 4) or name == "article")):
+                own |= 1 | (8 if name == "article" or found & COMMENTS else 0)
+            if name == "article" or name == "main" or (attributes and re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I)):
+                own |= 4 if name == "article" else 2
+                if not own & 8:
+                    own &= ~1  # a wrapper's class says less than the element itself
+                seen_article |= name == "article" and not own & 1
+                seen_main |= name != "article" and not own & 1
             if not block and own == now:
                 continue
             if own != now:
