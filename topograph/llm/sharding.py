@@ -25,6 +25,8 @@ from .common import shared_dir, widened
 
 #: Text bytes that a bucket should hold: a task needs a few times as much memory.
 BUCKET_BYTES = 48 << 20
+#: Buckets whose first slots a join may broadcast; more are joined by a shuffle.
+BROADCAST_BUCKETS = 1_000_000
 OWN = ("shard", "grown_shard", "bucket", "place", "slot", "size", "text_crc32", "law")
 
 
@@ -60,9 +62,13 @@ def external_shuffle(df: DataFrame, shards: int, key: str = "doc_id", text: str
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     dealt.groupBy("shard", "bucket").applyInArrow(permute, schema).write.parquet(path)
     written = spark.read.schema(schema).parquet(path)
+    if buckets == 1:
+        return written.withColumns({"slot": F.col("place"), "law": F.lit("key")})
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    if buckets * shards <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)
     return written.join(starts, ["shard", "bucket"]).withColumns({"slot": F.col("start") + F.col("place"), "law": F.lit("key")}).drop("start")
 
 
