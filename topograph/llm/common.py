@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,8 +83,28 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = 8 << 20) -> Iterato
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str, budget: int = 8 << 20) -> DataFrame:
-    """mapInArrow over slices of bounded text."""
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends batches of BATCH_BYTES at most from now on, as 10,000 texts take too much memory on either side."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = conf.get(name, None)
+    if known is None or (known.isdigit() and not 0 < int(known) <= BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker, which later stages use again, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str, budget: int = 4 << 20, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over slices of bounded text; done is called at the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,8 +112,11 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Reco
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        if done:
+            done()
+        give_back()
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 #: Ids that a join may broadcast (8 bytes each); more are joined by a shuffle.

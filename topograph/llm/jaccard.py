@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, GOLDEN, cut, drop, map_texts, mix, slices, without
+from .common import BROADCAST_IDS, GOLDEN, bounded_batches, cut, drop, give_back, map_texts, mix, slices, without
 from .components import components
 from .shingles import SLICE, shingle_sets
 
@@ -41,7 +41,7 @@ BLOCK, GROUP = 2000, 4_000
 #: How often an element of a set is taken to be in another set by accident, in the cost model.
 ACCIDENT = 0.05
 #: Sets of a thread's past of which it remembers that they were filed already.
-SEEN = 500_000
+SEEN = 100_000
 
 
 @lru_cache(maxsize=512)
@@ -164,8 +164,10 @@ def signature_rows(docs: DataFrame, text: str, k: int, bands: Bands) -> DataFram
                     keys.append(np.full(len(sigs[-1]), key, np.int64))
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "key"])
+        seen.clear()
+        give_back()
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "sig long, key long")
+    return bounded_batches(docs.select(F.col(f"`{text}`").alias("text"))).mapInArrow(run, "sig long, key long")
 
 
 def candidate_rows(rows: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def candidate_rows(rows: DataFrame) -> DataFrame:
                     out += [unique(1, np.full(b - a, key[b - 1]), key[a:b]), unique(2, name[a:b], key[a:b])]
             yield from (x for x in out if x.num_rows)
 
-    return rows.repartition("sig_name").sortWithinPartitions("sig").select("sig", "key").mapInArrow(runs, "kind byte, a long, b long")
+    return rows.repartition(F.shiftright("sig", 1)).sortWithinPartitions("sig").mapInArrow(runs, "kind byte, a long, b long")
 
 
 def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -332,7 +334,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
 
     thin = cut(thin_table(docs, doc_id, text, k), "thin")
     reps = cut(thin.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "reps")
-    rows = signature_rows(docs, text, k, bands).withColumn("sig_name", F.shiftright("sig", 1))
+    rows = signature_rows(docs, text, k, bands)
     found = cut(candidate_rows(rows), "candidates")
     args = (reps, docs, doc_id, text, k, num, den)
     links = verified(filter_pairs(found.filter("kind < 2").select("a", "b"), reps, num, den), *args)

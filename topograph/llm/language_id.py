@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, widened
+from .common import bounded_batches, map_texts, widened
 
 FEATURES = 1 << 16
 #: Rows that the weights and the temperature are fitted on, at most about so many.
@@ -67,7 +67,7 @@ def document_frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
         ids = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(df[ids], n))], names=["f", "n"])
 
-    found = rows.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES rows at most
+    found = bounded_batches(rows.select(F.col(f"`{text}`").alias("text"))).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES rows at most
     df = np.zeros(FEATURES, np.int64)
     own = found[found.f >= 0]
     df[own.f.to_numpy()] = own.n

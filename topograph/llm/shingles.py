@@ -13,7 +13,7 @@ import pyarrow as pa
 from .common import GOLDEN, mix
 
 #: Texts are taken in slices of about so many bytes, as each byte takes some 60 bytes of memory for a moment.
-SLICE = 2 << 20
+SLICE = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _lower = np.arange(256)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts, widened
 from .pieces import DEFAULT_MODEL, vocabulary, words
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class Counter:
@@ -75,4 +75,4 @@ def token_count(df: DataFrame, text: str = "text", model: str = DEFAULT_MODEL) -
         own = counter(model)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.count(t) for t in batch.column(text).to_pylist()], pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
-    return map_texts(kept, text, run, schema)
+    return map_texts(kept, text, run, schema, done=lambda: counter(model).known.clear())
