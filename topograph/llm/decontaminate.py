@@ -12,13 +12,13 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import string
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from .shingles import PLACE
 WINDOW, LITERALS, COVER = 5, 3, 0.8
 #: Bytes of benchmark text that one pass holds on every executor; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 TOKEN = re.compile(r"\S+|\n")
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 # Words taken for units behind a number.
@@ -38,6 +38,7 @@ UNITS = frozenset(
     "percent % dollar dollars euro euros cent cents usd eur hz khz mhz ghz w kw v a j n pa k c f degrees degree kb mb gb tb meter meters metre metres mph kph".split()
 )
 PUNCTUATION = string.punctuation + "“”‘’«»„…–—¿¡·"
+CLOSERS, AROUND_NUMBERS = "\"')]}”’»*#", "\"'()[]{}*#!?;,."
 WORD, NUM, UNIT, CAPITAL, NOTHING, LINE = range(6)
 SLOT = {kind: int(mix(np.array([kind + 7], np.uint64))[0]) for kind in (NUM, UNIT, CAPITAL)}
 
@@ -48,51 +49,69 @@ class Canon:
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
         self.cores: list[str] = []
-        self.facts: list[tuple[int, int, bool]] = []
-
-    def learn(self, token: str) -> int:
-        core = token.strip(PUNCTUATION).lower() if token != "\n" else ""
+        self.fresh: list[tuple[int, int, bool]] = []  # of tokens that the columns lack: hash, kind, whether a sentence ends
+        self.columns = [np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)]
+
+    def learn(self, token: str) -> None:
+        plain = token.isalpha()
+        bare = token if plain else token.strip(PUNCTUATION)
+        core, ends = bare.lower(), False
+        if not plain:
+            ends = token == "\n" or token.rstrip(CLOSERS).endswith((".", "!", "?", ":"))
         if token == "\n":
-            kind = LINE
-        elif NUMBER.fullmatch(token.strip("\"'()[]{}*#!?;,.")):
+            kind, core = LINE, ""
+        elif not plain and NUMBER.fullmatch(token.strip(AROUND_NUMBERS)):
             kind, core = NUM, core or token
         elif not core:
             kind = NOTHING
         elif core in UNITS:
             kind = UNIT
         else:
-            kind = CAPITAL if token.strip(PUNCTUATION)[0].isupper() else WORD
-        code = int.from_bytes(hashlib.blake2b(core.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self.known[token] = len(self.facts)
+            kind = CAPITAL if bare[0].isupper() else WORD
+        self.known[token] = len(self.cores)
         self.cores.append(core)
-        self.facts.append((code, kind, kind == LINE or token.rstrip("\"')]}”’»*#").endswith((".", "!", "?", ":"))))
-        return len(self.facts) - 1
-
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, whether each is a slot, and the tokens' numbers."""
+        self.fresh.append((xxhash.xxh3_64_intdigest(core.encode("utf-8", "surrogatepass")), kind, ends))
+
+    def numbers(self, text: str) -> np.ndarray:
+        tokens = TOKEN.findall(text)
+        try:
+            return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        except KeyError:
+            for t in tokens:
+                if t not in self.known:
+                    self.learn(t)
+            return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+
+    def templates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts on end: codes, whether each is a slot, the tokens' numbers, and where each text begins (with the end)."""
         if len(self.known) > REMEMBERED:
             self.__init__()
-        known, learn = self.known, self.learn
-        ids = [known[t] if t in known else learn(t) for t in TOKEN.findall(text)]
-        if not ids:
-            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
-        at = np.array(ids)
-        names, where = np.unique(at, return_inverse=True)
-        facts = [self.facts[i] for i in names]
-        codes, kinds, ends = (np.array([f[j] for f in facts], d)[where] for j, d in enumerate((np.uint64, np.int8, bool)))
-        opens = np.concatenate([[True], ends[:-1]])
+        each = [self.numbers(t) for t in texts]
+        offsets = np.cumsum([0, *map(len, each)])
+        at = np.concatenate([*each, np.zeros(0, np.int64)])
+        if self.fresh:
+            self.columns = [np.concatenate([c, np.array([f[j] for f in self.fresh], c.dtype)]) for j, c in enumerate(self.columns)]
+            self.fresh = []
+        codes, kinds, ends = (c[at] for c in self.columns)
+        opens = np.ones(len(at), bool)
+        opens[1:] = ends[:-1]
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        opens[begins] = True
         use = kinds < NOTHING
+        offsets = np.concatenate([[0], np.cumsum(use)])[offsets]
         codes, kinds, opens, at = codes[use], kinds[use], opens[use], at[use]
-        behind = np.concatenate([[False], kinds[:-1] == NUM])
+        behind = np.zeros(len(at), bool)
+        behind[1:] = kinds[:-1] == NUM
+        behind[offsets[:-1][np.diff(offsets) > 0]] = False
         slot = np.zeros(len(codes), bool)
         for kind, here in ((NUM, kinds == NUM), (UNIT, (kinds == UNIT) & behind), (CAPITAL, (kinds == CAPITAL) & ~opens)):
             codes[here] = SLOT[kind]
             slot |= here
-        return codes, slot, at
+        return codes, slot, at, offsets
 
     @staticmethod
-    def windows(codes: np.ndarray, slot: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows, and which have enough words."""
+    def windows(codes: np.ndarray, slot: np.ndarray, offsets: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows, and which lie in one text and have enough words."""
         n = len(codes) - w + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -100,7 +119,8 @@ class Canon:
         for j in range(w):
             h += codes[j : j + n] * PLACE[j]
         words = np.concatenate([[0], np.cumsum(~slot)])
-        return mix(h ^ np.uint64(GOLDEN)), words[w:] - words[:-w] >= LITERALS
+        last = np.repeat(offsets[1:], np.diff(offsets))[:n]
+        return mix(h ^ np.uint64(GOLDEN)), (words[w:] - words[:-w] >= LITERALS) & (np.arange(n) + w <= last)
 
 
 class Benchmark:
@@ -108,26 +128,40 @@ class Benchmark:
         canon = Canon()
         self.items, where = {}, defaultdict(lambda: defaultdict(list))
         for number, (item, text) in enumerate(items):
-            codes, slot, at = canon.template(text)
+            codes, slot, at, offsets = canon.templates([text])
             w = min(WINDOW, len(codes))
             if w < LITERALS:
                 continue
-            h, use = canon.windows(codes, slot, w)
+            h, use = canon.windows(codes, slot, offsets, w)
             if use.any():
                 self.items[number] = item, int(use.sum()), w, codes, np.flatnonzero(slot).tolist(), [canon.cores[i] for i in at]
                 for q in np.flatnonzero(use).tolist():
                     where[w][int(h[q])].append((number, q))
         self.by_size = {w: (np.array(sorted(t), np.uint64), dict(t)) for w, t in where.items()}
-
-    def leaks(self, text: str, canon: Canon) -> list[tuple[int, float, bool, int]]:
-        codes, slot, at = canon.template(text)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.maybe = {}
+        for w, (keys, _) in self.by_size.items():
+            self.maybe[w] = np.zeros(1 << 20, bool)
+            self.maybe[w][keys >> np.uint64(44)] = True
+
+    def leaks(self, texts: list[str], canon: Canon) -> list[list[tuple[int, float, bool, int]]]:
+        """For each text: item, cover, whether all values are the item's, and how many values there are."""
+        codes, slot, at, offsets = canon.templates(texts)
+        hits: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for w, (keys, where) in self.by_size.items():
-            h, use = canon.windows(codes, slot, w)
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for p in np.flatnonzero((keys[place] == h) & use).tolist():
+            h, use = canon.windows(codes, slot, offsets, w)
+            near = np.flatnonzero(self.maybe[w][h >> np.uint64(44)] & use)
+            near = near[np.isin(h[near], keys)]
+            text_of = np.searchsorted(offsets, near, "right") - 1
+            for p, t in zip(near.tolist(), text_of.tolist(), strict=True):
                 for number, q in where[int(h[p])]:
-                    hits[number].append((p, q))
+                    hits[t][number].append((p - int(offsets[t]), q))
+        out: list[list[tuple[int, float, bool, int]]] = [[] for _ in texts]
+        for t, own in hits.items():
+            a, b = offsets[t], offsets[t + 1]
+            out[t] = self.confirmed(own, codes[a:b], slot[a:b], [canon.cores[i] for i in at[a:b].tolist()])
+        return out
+
+    def confirmed(self, hits: dict[int, list[tuple[int, int]]], codes: np.ndarray, slot: np.ndarray, words: list[str]) -> list[tuple[int, float, bool, int]]:
         found = []
         for number, pairs in hits.items():
             item, total, w, own, slots, cores = self.items[number]
@@ -149,8 +183,8 @@ class Benchmark:
                         inside = {q + j for p, q in part if p - q == shift for j in range(w)}
                         for q in slots:
                             p = q + shift
-                            if (q in inside or cover == alone.get(shift)) and 0 <= p < len(at) and slot[p] and codes[p] == own[q]:
-                                a, b = cores[q], canon.cores[at[p]]
+                            if (q in inside or cover == alone.get(shift)) and 0 <= p < len(words) and slot[p] and codes[p] == own[q]:
+                                a, b = cores[q], words[p]
                                 forth[a].add(b), back[b].add(a)
                     if all(len(x) == 1 for x in (*forth.values(), *back.values())):
                         best = cover, all(a in b for a, b in forth.items()), len(forth)
@@ -159,6 +193,9 @@ class Benchmark:
         return found
 
 
+_held: list[Canon] = []  # of the running task
+
+
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, cover, same_values, n_values) for each document and each item that it leaks."""
     spark = docs.sparkSession
@@ -173,19 +210,21 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         held = spark.sparkContext.broadcast(Benchmark(list(block.itertuples(index=False, name=None))))
 
         def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
-            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in held.value.leaks(t, _canon())]
+            found = held.value.leaks(batch.column("text").to_pylist(), _canon())
+            rows = [(i, *x) for i, own in zip(batch.column("doc_id").to_pylist(), found, strict=True) for x in own]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32()), strict=True)], names=["doc_id", "item_id", "cover", "same_values", "n_values"])
 
-        own = map_texts(docs, "text", run, schema)
+        own = map_texts(docs, "text", run, schema, 2 << 20, _forget)
         out = own if out is None else out.union(own)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-_held: list[Canon] = []
-
-
 def _canon() -> Canon:
     if not _held:
         _held.append(Canon())
     return _held[0]
+
+
+def _forget() -> None:
+    _held.clear()
