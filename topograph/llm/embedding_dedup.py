@@ -79,11 +79,11 @@ class Index:
     def possible(self, queries: np.ndarray, of: int, codes: np.ndarray, missed: np.ndarray) -> np.ndarray:
         """Which coded vectors of a list may be within reach of each query, by table lookups."""
         residual = queries - self.centroids[of]
-        d = np.zeros((len(queries), len(codes)))
+        d = np.zeros((len(codes), len(queries)), np.float32)
         for m, (p, book) in enumerate(zip(self.parts, self.books, strict=True)):
-            lookup = np.maximum(0, (residual[:, p] ** 2).sum(1)[:, None] + (book * book).sum(1)[None] - 2 * residual[:, p] @ book.T)
-            d += lookup[:, codes[:, m]]
-        return np.sqrt(d) <= self.reach + missed[None] + SLACK
+            lookup = np.maximum(0, (book * book).sum(1)[:, None] + (residual[:, p] ** 2).sum(1)[None] - 2 * book @ residual[:, p].T)
+            d += lookup.astype(np.float32)[codes[:, m]]  # a code's row has all queries on end
+        return np.ascontiguousarray((np.sqrt(d) <= (self.reach + missed + SLACK)[:, None]).T)
 
 
 def search(index: Index, threshold: float, rows: pa.Table) -> pa.Table:
