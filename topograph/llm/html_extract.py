@@ -2,9 +2,11 @@
 
 A page's blocks are read in order. Blocks in menus, headers, footers, sidebars, forms, scripts, styles and the like, or in elements whose class, id or role
 names such a part, are boilerplate. Where a page has an article (else a main element), its other blocks are the text, and everything outside is boilerplate. Where it
-has neither, structure can't tell, and repetition decides: the token streams of all blocks outside articles are concatenated by host into a suffix array, ordered
-to a depth of RUN tokens and spread over the executors by prefix. Neighbours of one prefix from two distinct pages are a repeated run (longer repeats are chains
-of such runs). Open blocks covered by repeated runs go, unique ones stay. A block inside an article is never dropped for being repeated, as pages may share their text.
+has neither, structure can't tell, and repetition decides: the token streams of all blocks outside articles are concatenated by host into a suffix array, whose order is
+refined from RUN tokens by doubling, among the suffixes that still repeat, and spread over the executors by prefix. A run counts that is on SHARE of the host's distinct pages (PAGES
+at least; on MOST of them from PROSE tokens on, as pages may share prose). An open block goes if runs of the greatest length that is RUN times a power of two and
+COVERED of the block at most, so of about half of it or more, cover COVERED of it; a block of fewer than RUN tokens goes by runs that take in its neighbours. Others stay. A block
+inside an article is never dropped for being repeated, as pages may share their text.
 
 Defined cases: a null or empty html has an empty text; markup that is cut off ends with the page, and an unfinished tag is dropped; pages with equal html are one page to
 the suffix array; a null url is a host of its own; a page of any length is read whole; repeated rows are extracted one by one; other columns are kept, and
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, letters_lower, map_texts, mix, widened
+from .common import cut, drop, letters_lower, map_texts, mix, widened
 from .shingles import PLACE, word_hashes
 
-#: Tokens of a run that counts as long, and the share of a block's tokens that runs have to cover.
+#: Tokens of the shortest run, and the share of a block's tokens that runs have to cover.
 RUN, COVERED = 4, 0.9
+#: The share of a host's pages, and the number of them, on which a run is boilerplate; tokens from which it may be prose, and the share then.
+SHARE, PAGES, PROSE, MOST = 0.1, 3, 32, 0.5
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S
 )
@@ -168,36 +172,72 @@ def suffixes(rows: DataFrame) -> DataFrame:
     return map_texts(rows, "stream", run, "host string, page long, open boolean, place int, prefix long", 1 << 20)
 
 
+def run_length(words: int) -> int:
+    """Tokens of the runs that decide a block of so many."""
+    n = RUN
+    while 2 * n <= COVERED * words:
+        n *= 2
+    return n
+
+
 def unique_blocks(rows: DataFrame) -> DataFrame:
-    """rows (outside, is_open, places of repeated runs): with the open blocks that runs don't cover as text."""
-    schema = widened(rows.drop("outside", "is_open", "places"), text="string")
+    """rows (outside, is_open, runs: length and place of repeated ones): with the open blocks that runs don't cover as text."""
+    schema = widened(rows.drop("outside", "is_open", "runs"), text="string")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for blocks, is_open, places in zip(batch.column("outside").to_pylist(), batch.column("is_open").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            for blocks, is_open, runs in zip(batch.column("outside").to_pylist(), batch.column("is_open").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 words, at = word_hashes(pa.array(blocks, pa.string()))
-                hit = np.zeros(len(words) + 1, int)
-                if places:
-                    np.add.at(hit, np.array(places), 1)
-                    np.add.at(hit, np.minimum(np.array(places) + RUN, len(words)), -1)
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-                texts.append("\n".join(b for b, o, x, y in zip(blocks, is_open, at[:-1], at[1:], strict=True) if o and covered[y] - covered[x] < COVERED * max(1, y - x)))
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in ("outside", "is_open", "places")), pa.array(texts, pa.string())], names=schema.names)
+                hit: dict[int, np.ndarray] = {}
+                for r in runs or ():
+                    own = hit.setdefault(r["length"], np.zeros(len(words) + 1, int))
+                    own[r["place"]] += 1
+                    own[min(r["place"] + r["length"], len(words))] -= 1
+                covered = {n: np.concatenate([[0], np.cumsum(np.cumsum(h[:-1]) > 0)]) for n, h in hit.items()}
+                kept = []
+                for b, o, x, y in zip(blocks, is_open, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    c = covered.get(run_length(y - x))
+                    if o and (c is None or c[y] - c[x] < COVERED * max(1, y - x)):
+                        kept.append(b)
+                texts.append("\n".join(kept))
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in ("outside", "is_open", "runs")), pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def repeated_runs(streams: DataFrame, longest: int) -> DataFrame:
+    """(host, page, length, place) of the runs that repeat, on open pages; lengths are RUN doubled, up to what a block of longest tokens asks for. streams: host, page, open, stream."""
+    hosts = streams.groupBy("host").agg(F.max("open").alias("any"), F.countDistinct("page").alias("pages")).filter("any").drop("any")
+    hosts = cut(hosts, "hosts")
+    own = streams.join(hosts.select("host"), "host", "left_semi").groupBy("host", "page").agg(F.max("open").alias("open"), F.first("stream").alias("stream"))
+    suffix, length, out = cut(suffixes(own.select("host", "page", "open", "stream")), "suffixes"), RUN, None
+    while True:
+        least = F.greatest(F.lit(PAGES), F.ceil(F.col("pages") * (MOST if length >= PROSE else SHARE)))
+        hot = suffix.groupBy("host", "prefix").agg(F.countDistinct("page").alias("n")).join(hosts, "host").filter(F.col("n") >= least).select("host", "prefix")
+        left = cut(suffix.join(hot, ["host", "prefix"], "left_semi"), "suffixes")
+        drop(suffix)
+        found = left.filter("open").select("host", "page", F.lit(length).alias("length"), "place")
+        out = found if out is None else out.union(found)
+        if 2 * length > COVERED * longest or left.isEmpty():
+            return out
+        after = left.select("host", "page", (F.col("place") - length).alias("place"), F.col("prefix").alias("after_"))
+        suffix = cut(left.join(after, ["host", "page", "place"]).select("host", "page", "open", "place", F.xxhash64("prefix", "after_").alias("prefix")), "suffixes")
+        length *= 2
+
+
 def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """pages with text and n_chars, without the column of markup."""
-    kept = pages.drop("text", "n_chars", "outside", "is_open", "places", "host_", "page_")
+    kept = pages.drop("text", "n_chars", "outside", "is_open", "runs", "host_", "page_")
     host = letters_lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     rows = cut(parsed(kept.withColumns({"host_": host, "page_": F.xxhash64(F.col(f"`{page}`"))}), page).drop(page), "parsed")
     no_text = F.exists("is_open", lambda x: x)
     streams = rows.select(F.col("host_").alias("host"), F.col("page_").alias("page"), no_text.alias("open"), F.array_join("outside", " ").alias("stream"))
-    suffix = suffixes(streams)
-    repeated = suffix.groupBy("host", "prefix").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.max("open").alias("open")).filter("first < last and open").select("host", "prefix")
-    places = suffix.filter("open").join(repeated, ["host", "prefix"]).groupBy("host", "page").agg(F.collect_set("place").alias("places")).select(F.col("host").alias("host_"), F.col("page").alias("page_"), "places")
-    found = unique_blocks(rows.filter(no_text).drop("text").join(places, ["host_", "page_"], "left"))
+    open_rows = rows.filter(no_text)
+    longest = open_rows.agg(F.max(F.array_max(F.transform("outside", F.char_length))).alias("n")).first()["n"]
     done = rows.filter(~no_text).drop("outside", "is_open")
-    return done.unionByName(found).drop("host_", "page_").withColumn("n_chars", F.char_length("text").cast("long"))
+    if longest is not None:  # else structure decides all pages
+        runs = repeated_runs(streams, longest // 2 + 1).groupBy("host", "page").agg(F.collect_list(F.struct("length", "place")).alias("runs"))
+        runs = runs.select(F.col("host").alias("host_"), F.col("page").alias("page_"), "runs")
+        done = done.unionByName(unique_blocks(open_rows.drop("text").join(runs, ["host_", "page_"], "left")))
+    return done.drop("host_", "page_").withColumn("n_chars", F.char_length("text").cast("long"))
