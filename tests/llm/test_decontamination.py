@@ -21,3 +21,11 @@ def test_case():
 def test_changed_words_and_gaps():
     item = "The red fox jumps over the lazy dog while many birds sing in old trees."
     assert leaks(item, item.replace("while", "as"), item.replace("dog while", "dog and so on while"), "The red fox jumps over the wall and is gone.") == [[(0.93, True)], [(1.0, True)], []]
+
+
+def test_items_without_enough_words():
+    for item in ("What is 3 + 4 * 12 - 7 / 2 ?", "1 2 3 4 5 6 7 8", "7, 11 and 13"):
+        assert leaks(item, f"Before that. {item} And after.", item.replace("3", "5").replace("7 8", "8 7")) == [[(1.0, True)], []]
+    assert leaks("Two words", "Before. Two words.\nAfter", "two words") == [[(1.0, True)]] * 2
+    assert leaks("Paris", "Capital?\nParis\nNo", "He went to Paris with her.") == [[(1.0, True)], []]
+    assert leaks("3 - 4 = -1", "so 3 - 4 = -1 here", "so 3 + 4 = -1 here", "so 3 - 4 = 1 here") == [[(1.0, True)], [], []]

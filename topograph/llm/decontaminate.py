@@ -6,6 +6,9 @@ slots everywhere, and names are words whatever their case. One window in common
 windows on shifts close together. A document leaks an item when COVER of the item's tokens agree, LITERALS words among them, and the slots agree: each value of the item stands for
 one value of the document, and the other way round. A name is a capitalised word, in a passage without capitals any word; a unit is a unit's word behind a number.
 
+An item without a window of enough words (numbers, one or two words) is leaked where its whole token sequence, values and operators included and case not, is in the document;
+one of one or two tokens, which ordinary sentences hold, where it is a sentence or line of its own.
+
 Defined cases: null and empty texts leak nothing; an item shorter than a window is one window of its own length; repeated rows are judged one by one; between two alignments that
 match equally well the first counts; empty tables give an empty result; other columns, whatever their names, are not read.
 """
@@ -177,6 +180,10 @@ class Benchmark:
                     where[r, w][int(h[q])].append((number, q))
             if found:
                 self.items[number] = item, w, t.readings[2][0], t.value, t.capital, t.opens, [canon.cores[i] for i in t.at]
+            elif n := len(t.whole[0]):
+                self.exact[number] = item, t.whole[0]
+                w = min(WINDOW, n)
+                whole[w][int(canon.windows(t.whole[0], np.zeros(n, bool), t.whole[3], w)[0][0])].append(number)
         self.by_size = {k: Index(x) for k, x in where.items()}
         self.by_whole = {w: Index(x) for w, x in whole.items()}
 
