@@ -55,10 +55,13 @@ def corpus(seed, n=160):
 ODD = [(1001, None), (1002, ""), (1003, " \n "), (1004, "One"), (1005, "oNE\t"), (1006, "a b"), (1007, "A  B"), (1008, "é É"), (1009, "x " * 3000), (1010, "x\v" * 2990)]
 
 
-@pytest.mark.parametrize(("k", "num", "den", "few"), [(3, 90, 100, 24), (5, 80, 100, 24), (3, 90, 100, 2), (2, 70, 100, 3)])
+@pytest.mark.parametrize(("k", "num", "den", "few"), [(3, 90, 100, 24), (5, 80, 100, 24), (3, 90, 100, 2), (2, 70, 100, 3), (5, 80, 100, 1)])
 def test_jaccard(spark, k, num, den, few, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", few)  # small values send pairs through the way for hot signatures
     monkeypatch.setattr(jaccard, "BLOCK", 7 if few < 24 else 2000)
+    monkeypatch.setattr(jaccard, "GROUP", 5 if few < 24 else 512)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1 if few < 24 else 3)
+    monkeypatch.setattr(jaccard, "HELD", 6 if few == 2 else 4096)
     docs = corpus(k * few) + ODD
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"key": F.lit("x"), "sig": F.lit(1)})
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, k, num, den).collect()}
@@ -78,9 +81,21 @@ def test_signatures_lose_nothing():
                 y = np.union1d(rng.choice(x, max(1, n - drop), replace=False), rng.integers(0, 2**64, add, np.uint64))
                 both = len(np.intersect1d(x, y))
                 if 100 * both >= num * (len(x) + len(y) - both) and jaccard.set_key(x) != jaccard.set_key(y):
-                    a, b = bands.signatures(x), bands.signatures(y)
-                    same = set((a >> np.uint64(1)).tolist()) & set((b >> np.uint64(1)).tolist())
-                    assert same, (num, hist, n)
+                    large, small = (x, y) if len(x) >= len(y) else (y, x)
+                    own = bands.files(small)[0][0] >> np.uint64(2)
+                    for sigs, slack, near in bands.files(large):
+                        if not {*(sigs >> np.uint64(2)).tolist()} & {*own.tolist()}:
+                            continue
+                        exact = (sigs & np.uint64(jaccard.EXACT)) > 0
+                        shared = np.isin(sigs >> np.uint64(2), own)
+                        spared = np.flatnonzero(exact & shared)[: max(0, slack)]  # the worst choice of lists that aren't probed
+                        assert np.delete(shared, spared).any(), (num, hist, n)
+                        if near and slack >= 2 * near:  # or those of all neighbourhoods, and fewer exact ones
+                            spared = np.append(np.flatnonzero(~exact), np.flatnonzero(exact & shared)[: slack - 2 * near])
+                            assert np.delete(shared, spared).any(), (num, hist, n)
+                        break
+                    else:
+                        raise AssertionError((num, hist, n))
 
 
 def test_one_of_each(spark):
@@ -91,6 +106,46 @@ def test_one_of_each(spark):
     assert jaccard.jaccard_components(df.limit(0), 3, 90, 100).count() == 0 and jaccard.one_of_each(df.limit(0), 5, 80, 100).count() == 0
 
 
+def test_one_of_each_row(spark):
+    """Rows with one id and different texts, null ids and clashing columns: what goes is the row, not its id."""
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(1, one, "a"), (7, one, "b"), (7, two, "c"), (None, two, "d"), (None, one, "e"), (None, "alone in the world of all words", "f"), (8, None, "g"), (8, None, "h"), (9, two + " more", "i"), (9, two + " more", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").withColumns({"id": F.lit(5), "key": F.lit("k"), "part": F.lit(0)})
+    got = jaccard.one_of_each(df, 5, 80, 100)
+    assert got.columns == df.columns and sorted(r["tag"] for r in got.collect()) == ["a", "c", "f", "g", "h"]
+    assert {r["tag"]: r["id"] for r in got.collect()}["a"] == 5
+
+
+def test_sketches_lose_nothing():
+    """Folded sketches never differ in more bits than sets in elements, whatever their sizes."""
+    rng = np.random.default_rng(4)
+    for n in (1, 20, 33, 500, 70000):
+        x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        y = np.union1d(x[: n - n // 6], rng.integers(0, 2**64, n // 3 + 1, np.uint64))
+        a, b = (np.frombuffer(jaccard.sketch(h), np.uint8)[None] for h in (x, y))
+        least = min(a.shape[1], b.shape[1])
+        assert jaccard.apart(jaccard.folded(a, least), jaccard.folded(b, least))[0] <= len(np.setxor1d(x, y))
+
+
+def test_frequent_passages_and_a_family(spark, monkeypatch):
+    """Hot signatures of a passage that most documents share, and of a large family of copies with edits, against brute force."""
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage, base, docs = [word() for _ in range(40)], [word() for _ in range(90)], []
+    for i in range(220):
+        words = [word() for _ in range(rng.randrange(5, 120))]
+        words[2:2] = passage
+        if i % 3 == 0:
+            words = base.copy()
+            for _ in range(rng.randrange(0, 5)):
+                words[rng.randrange(len(words))] = word()
+        docs.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == brute(docs, 5, 80, 100)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a new one where it is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a new one if all run in one process, as in tests; else an error."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("topograph.shared.dir", None)
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="topograph-")
         spark.conf.set("topograph.shared.dir", known)
     return known.rstrip("/")
@@ -49,6 +52,14 @@ def drop(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def widened(df: DataFrame, **more: str) -> StructType:
     """df's schema and further columns, given by DDL types."""
     return StructType([*df.schema.fields, *(StructField(k, _parse_datatype_string(v)) for k, v in more.items())])
@@ -123,9 +134,8 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Reco
 BROADCAST_IDS = 4_000_000
 
 
-def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def without(df: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
     """df's rows whose key is not among ids, a frame of one column. Rows with a null key stay."""
-    gone = cut(ids.toDF("gone_").distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return df.join(gone, df[key] == gone["gone_"], "left_anti")
+    name = unused(df, "gone")
+    gone = cut(ids.toDF(name).distinct(), "gone")
+    return df.join(gone if gone.count() > BROADCAST_IDS else F.broadcast(gone), key == F.col(name), "left_anti")

@@ -40,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
+    out = cut(stars.union(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+    drop(now)
+    return out
