@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -52,6 +53,12 @@ def drop(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that no frame reads any more deleted now. Spark does so only when the driver's garbage is collected, which may be half an hour later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name like this that no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, GOLDEN, bounded_batches, cut, drop, give_back, map_texts, mix, slices, unused
+from .common import BROADCAST_IDS, GOLDEN, bounded_batches, cut, drop, free_shuffles, give_back, map_texts, mix, slices, unused
 from .components import components
 from .shingles import SLICE, shingle_sets
 
@@ -38,12 +38,12 @@ from .shingles import SLICE, shingle_sets
 DENSITY, LEAST_BITS, MOST_BITS = 2, 64, 1 << 17
 #: A signature of at most so many sets gives all their pairs.
 FEW = 8
-#: Sets of a hot signature that are compared with all its others first.
-PIVOTS = 3
+#: Sets of a hot signature that are compared with all its others first: of lists of up to so many sets, and of longer ones.
+PIVOTS, SHORT, SHORT_PIVOTS = 3, 64, 1
 #: Sets that a block of a hot signature holds, and pairs that a group verifies.
 BLOCK, GROUP = 1000, 512
-#: How often an element of a set is taken to be in another set by accident, in the cost model.
-ACCIDENT = 0.05
+#: How often an element of a set is taken to be in another set by accident, in the first allocation; frequent passages are left to the second one.
+ACCIDENT = 0.01
 #: Sets of a thread's past of which it remembers that they were filed already.
 SEEN = 100_000
 #: Rows of a signature from which a task stops holding them together.
@@ -285,7 +285,8 @@ def hot_members(hot: DataFrame, reps: DataFrame) -> DataFrame:
     probe = F.when(F.col("exact"), F.col("rank") <= F.when(leave, without_near).otherwise(with_near)).otherwise(~leave)
     marked = cut(rows.select("sig", "key", "own", probe.alias("probe")), "marked")
     pivots = F.array_distinct(F.array(*(F.min(F.when(F.col("own"), F.struct(F.xxhash64(F.lit(r), "key").alias("h"), "key")))["key"] for r in range(PIVOTS))))
-    live = marked.groupBy("sig").agg(F.max("probe").alias("any"), pivots.alias("pivots")).filter("any").drop("any")
+    live = marked.groupBy("sig").agg(F.max("probe").alias("any"), F.count("*").alias("n"), pivots.alias("pivots")).filter("any")
+    live = live.select("sig", F.when(F.col("n") <= SHORT, F.slice("pivots", 1, SHORT_PIVOTS)).otherwise(F.col("pivots")).alias("pivots"))
     members = cut(marked.filter("own or probe").join(live, "sig"), "members")
     drop(marked)
     return members
@@ -426,6 +427,7 @@ def grouped(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id",
     same = ("tag", "n_shingles", "sketch", "own_slack", "own_near", "below_slack", "below_near")
     reps = cut(thin.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep_id"), *(F.first(c).alias(c) for c in same)), "reps")
     found = cut(candidate_rows(signature_rows(docs, text, k, bands)), "candidates")
+    free_shuffles(docs.sparkSession)  # those of all signatures
     hot = cut(found.filter("hot").select(F.col("a").alias("sig"), F.col("b").alias("key"), "bits").distinct(), "hot")
     pairs, args = found.filter("not hot").select("a", "b"), (reps, docs, text, k, num, den)
     members = None if hot.isEmpty() else hot_members(hot, reps)
