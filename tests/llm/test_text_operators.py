@@ -141,11 +141,27 @@ def test_language_id(spark, odd, sf_dir):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
         else:
             assert r["lang_pred"] in set(t.lang) and 0 <= r["score"] <= 1
+    seen = np.abs(model.weights).sum(1) > 0
+    texts = " ".join(t.text.dropna())
+    assert 0.3 < (model.weights[language_id.counted(texts)[0]] == 0).mean() < 0.95 and seen.any()  # sparse
     assert language_id.fit(odd.filter("lang is null")) is None
     assert {r["lang_pred"] for r in language_id.predict(odd, None).collect()} == {"und"}
     assert language_id.label(odd.limit(0)).count() == 0
 
 
+def test_language_features():
+    """Counted in pieces or at once, against n-grams taken one by one."""
+    text = "Ünïcode " * 40 + "x"
+    whole = language_id.counts_of(text)
+    grams = [" " + text.lower() + " "]
+    assert whole.sum() == sum(len(grams[0]) - n for n in range(3))
+    before, language_id.PIECE = language_id.PIECE, 7
+    try:
+        assert (language_id.counts_of(text) == whole).all() and (language_id.counts_of("é") == language_id.counts_of("É")).all()
+    finally:
+        language_id.PIECE = before
+
+
 def test_license_scan(spark, odd):
     texts = {
         10: "x\nReleased under the MIT License.\ny", 11: "Licensed under the Apache License, Version 2.0.", 12: "licensed under the  apache license version 2.0", 13: "The license of poets.",

@@ -6,8 +6,8 @@ follow-the-regularised-leader (McMahan et al., 2013) with L1 and L2 penalties on
 the languages), and a temperature is fitted on a fifth of it that the weights haven't seen. Prediction takes whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; between equally likely languages the first in sorted order wins; without
-a learnable row every text is ``und``; rows with a null language teach nothing; repeated rows count as often as they come; other columns
-are kept, and columns named like result columns are replaced.
+a learnable row every text is ``und``; rows with a null language teach nothing; repeated rows count as often as they come; a very long text is counted in
+pieces, in memory that its length doesn't set but for its characters; more than LANGUAGES languages raise an error; other columns are kept, and columns named like result columns are replaced.
 """
 
 from __future__ import annotations
@@ -29,40 +29,46 @@ SAMPLE = 2400
 SNIPPET = 24
 #: Languages that may be learned; what a label is has to be few.
 LANGUAGES = 200
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-5, 1e-6, 3
+#: Of follow-the-regularised-leader; at this L1 penalty most weights of seen features are zero.
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.03, 1e-6, 3
+#: Characters whose n-grams are hashed at once.
+PIECE = 1 << 18
 _SALT = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 
 
-def features(text: str) -> np.ndarray:
-    """Hashed n-grams of the text, one for each place and n."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.concatenate([[32], c, [32]]).astype(np.uint32)
-    h, out = np.zeros(len(c), np.uint32), []
-    for n in range(3):
-        h = (h[: len(c) - n] if n else h) + c[n:] * _SALT[n]
-        x = h * np.uint32(0x27D4EB2F)
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x165667B1 + 2 * n)
-        out.append(x >> np.uint32(16))
-        h = h[:-1] if n < 2 else h
-    return np.concatenate(out)
+def counts_of(text: str) -> np.ndarray:
+    """How often each hashed n-gram occurs in the text, one for each place and n."""
+    c = np.concatenate([[32], np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32), [32]]).astype(np.uint32)
+    out = np.zeros(FEATURES, np.int64)
+    for start in range(0, len(c), PIECE):
+        part = c[start : start + PIECE + 2]
+        h, found = np.zeros(len(part), np.uint32), []
+        for n in range(3):
+            h = (h[: len(part) - n] if n else h) + part[n:] * _SALT[n]
+            x = h * np.uint32(0x27D4EB2F)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x165667B1 + 2 * n)
+            found.append((x >> np.uint32(16))[:PIECE])
+            h = h[:-1] if n < 2 else h
+        out += np.bincount(np.concatenate(found), minlength=FEATURES)
+    return out
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    ids, counts = np.unique(features(text), return_counts=True)
-    return ids, counts / counts.sum()
+    """The text's features and their shares."""
+    counts = counts_of(text)
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids] / counts.sum()
 
 
 def document_frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Over all rows: how many texts have each feature, and how many texts there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, flag = np.zeros(FEATURES, np.int64), 0, np.zeros(FEATURES, np.uint8)
+        df, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                flag[features(t.as_py())] = 1
-                df += flag
-                flag[:] = 0
+                df += counts_of(t.as_py()) > 0
                 n += 1
         ids = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(df[ids], n))], names=["f", "n"])
@@ -79,8 +85,11 @@ class Model:
         self.languages, self.weights, self.bias, self.temperature = languages, weights, bias, temperature
 
     def logits(self, text: str) -> np.ndarray:
-        ids = features(text)
-        return self.weights[ids].sum(0, dtype=np.float64) / len(ids) + self.bias
+        return self.score(counted(text))
+
+    def score(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        ids, shares = found
+        return shares @ self.weights[ids] + self.bias
 
     def predict(self, text: str) -> tuple[str, float]:
         z = self.logits(text) / self.temperature
@@ -115,6 +124,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, idf: np.
     return w[:-1] * idf[:, None] * 10, w[-1]
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """rows (u, lang, tag, text) with features, at most FEATURES of each text, and snippets in place of texts, so that the driver gets no whole text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        found = [counted(t) for t in texts]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("u", "lang", "tag")), pa.array([i.astype(np.int64).tobytes() for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()),
+             pa.array([[t[:SNIPPET], t[len(t) // 2 : len(t) // 2 + SNIPPET]] for t in texts], pa.list_(pa.string()))],
+            names=["u", "lang", "tag", "ids", "shares", "snippets"],
+        )
+
+    return map_texts(rows, "text", run, "u double, lang string, tag long, ids binary, shares binary, snippets array<string>")
+
+
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     """The one of a grid with the least negative log likelihood."""
 
@@ -143,18 +167,18 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / len(sizes) / n))).otherwise(share)
     drawn = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 11) / F.lit(float(1 << 53))).alias("u")
-    chosen = rows.withColumn("u", drawn).filter(F.col("u") < share).select("text", "lang", "u").toPandas().sort_values(["u", "lang", "text"], ignore_index=True)
+    chosen = sampled(rows.withColumn("u", drawn).filter(F.col("u") < share).select("u", "lang", F.xxhash64("text").alias("tag"), "text")).toPandas().sort_values(["u", "lang", "tag"], ignore_index=True)
     languages = sorted(sizes)
     labels = chosen["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
     idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 0.1, 0.0)
-    x = [counted(t) for t in chosen["text"]]
+    x = [(np.frombuffer(i, np.int64), np.frombuffer(s)) for i, s in zip(chosen["ids"], chosen["shares"], strict=True)]
     cal = np.arange(len(x)) % 5 == 4
     weights, bias = ftrl([r for r, c in zip(x, cal, strict=True) if not c], labels[~cal], idf, len(languages), seed)
     # short snippets as well as whole texts, as confidence has to hold for both
-    unseen = [(t[a : a + n] if n else t, y) for t, y, c in zip(chosen["text"], labels, cal, strict=True) if c for a, n in ((0, 0), (0, SNIPPET), (len(t) // 2, SNIPPET))]
     model = Model(languages, weights.astype(np.float32), bias, 1.0)
-    logits = np.array([model.logits(t) for t, _ in unseen]).reshape(-1, len(languages))
-    model.temperature = temperature(logits, np.array([y for _, y in unseen], int))
+    unseen = [f for r, own, c in zip(x, chosen["snippets"], cal, strict=True) if c for f in (r, *map(counted, own))]
+    logits = np.array([model.score(f) for f in unseen]).reshape(-1, len(languages))
+    model.temperature = temperature(logits, np.repeat(labels[cal], 3).astype(int))
     return model
 
 
