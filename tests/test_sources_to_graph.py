@@ -94,32 +94,32 @@ def test_contracts(engine):
     r = engine.query("api_contracts")
     assert [(x["client_id"], x["server_id"]) for x in r.payload["matched"].collect()] == [("client.ts#api_call:2", "srv/Api.java#route_handler:3")]
     assert [x["c_path"] for x in r.payload["unmatched_clients"].collect()] == ["web/Card.vue"]
-    assert "1 connected end-to-end HTTP contract(s), with 1 unmatched client call(s) and 0 uninvoked" in r.summary
+    assert "1 requests meet a route; 1 requests have no route, and 0 routes no request" in r.summary
     assert "| **GET** | `/api/users/:id` |" in markdown(r)
 
 
 def test_actions(engine):
-    assert "Explored" in engine.query("dependencies", "web/index.ts").summary
+    assert "Depth 3 reaches" in engine.query("dependencies", "web/index.ts").summary
     assert {x["file_path"] for x in engine.query("dependencies", "web/index.ts", depth=0).nodes.collect()} == {"web/index.ts"}
     found = engine.query("path", "main", "web/util.ts#helper:1")
-    assert [x["dst"] for x in found.payload["steps"].collect()] == ["web/util.ts#helper:1"] and "Step 1" in markdown(found)
-    assert "same node" in engine.query("path", "main", "main").summary
+    assert [x["dst"] for x in found.payload["steps"].collect()] == ["web/util.ts#helper:1"] and "1. `main`" in markdown(found)
+    assert "one node" in engine.query("path", "main", "main").summary
     assert "Error" in engine.query("path", "main").summary and "Error" in engine.query("slice").summary and "Error" in engine.query("call_graph").summary
-    assert "No matching" in engine.query("impact", "nowhere-at-all").summary
+    assert "Nothing is called" in engine.query("impact", "nowhere-at-all").summary
     impact = engine.query("impact", "web/util.ts#helper:1")
     assert {(x["id"], x["tier"]) for x in impact.payload["tiers"].collect()} >= {("web/util.ts#twice:4", 1), ("web/index.ts#main:11", 0)}
-    assert "Tier 0" in markdown(impact)
-    assert "Overview" in engine.query("dependencies").summary and "**Root" in markdown(engine.query("call_graph", "main"))
-    assert "Evaluated" in engine.query("metrics").summary and "Hubs" in markdown(engine.query("metrics"))
-    assert "✅" in engine.query("circular").summary and "No circular" in markdown(engine.query("circular"))
+    assert "0: users in other files" in markdown(impact)
+    assert "the first are shown" in engine.query("dependencies").summary and "**Starting from" in markdown(engine.query("call_graph", "main"))
+    assert "mean instability" in engine.query("metrics").summary and "Most connected" in markdown(engine.query("metrics"))
+    assert "No file" in engine.query("circular").summary and "There are none" in markdown(engine.query("circular"))
     dead = engine.query("unused")
-    assert {x["file_path"] for x in dead.payload["dead"].filter("reason = 'orphan'").collect()} >= {"web/other.ts", "web/Card.vue"} and "Orphan" in markdown(dead)
+    assert {x["file_path"] for x in dead.payload["dead"].filter("reason = 'orphan'").collect()} >= {"web/other.ts", "web/Card.vue"} and "nothing imports" in markdown(dead)
     lint = engine.query("lint", rules=[{"from": "models", "to": "db"}])
-    assert "🚨 Found" in lint.summary and "Forbidden layer boundary" in markdown(lint)
+    assert "edges break one of 1 rules" in lint.summary and "Forbidden layer boundary" in markdown(lint)
     diff = engine.query("diff_impact", changed=["web/util.ts"])
-    assert {x["file_path"] for x in diff.payload["upstream_files"].collect()} == {"web/index.ts"} and "Modified Files (1)" in markdown(diff)
+    assert {x["file_path"] for x in diff.payload["upstream_files"].collect()} == {"web/index.ts"} and "Changed: 1" in markdown(diff)
     s = engine.query("slice", "web/util.ts", depth=1)
-    assert "internal cohesion" in s.summary and "Cohesion Score" in markdown(s)
+    assert "stay inside" in s.summary and "Cohesion" in markdown(s)
     with pytest.raises(ValueError, match="unknown action"):
         engine.query("nothing")
 
@@ -144,6 +144,33 @@ def test_snapshot(spark, engine, tmp_path):
     facts, files = load(spark, str(tmp_path / "snap"))
     assert files.count() == len(FILES) and facts.count() == engine.facts.count()
     assert load(spark, str(tmp_path / "none")) is None
+    again = Engine(spark)
+    assert not again.load(str(tmp_path / "none")) and again.load(str(tmp_path / "snap"))
+    for part in ("nodes", "edges"):
+        assert sorted(map(str, getattr(again.graph, part).collect())) == sorted(map(str, getattr(engine.graph, part).collect()))
+    assert again.query("api_contracts").payload["matched"].count() == 1
+
+
+def test_scope(engine):
+    """A scope is an index of that folder alone."""
+    found = engine.query("dependencies", "Service.java", scope="com/acme")
+    assert {x["file_path"] for x in found.nodes.collect()} == {"com/acme/Service.java", "com/acme/Util.java"}
+    assert "Nothing is called" in engine.query("impact", "web/util.ts", scope="./com/").summary
+    assert engine.query("api_contracts", scope="srv").payload["matched"].count() == 0
+    assert {x["file_path"] for x in engine.query("unused", scope="models").payload["dead"].collect()} == {"models/user.go"}
+    assert "web" in engine.query("metrics", scope="web").payload["modules"].first()["file_path"]
+
+
+def test_cycles_beyond_one_task(spark, monkeypatch):
+    from topograph.operators import cycles
+
+    e = Engine(spark)
+    e.index_texts({"a.py": "import b\n", "b.py": "import c\n", "c.py": "import a\n", "d.py": "import a\n"})
+    one = e.query("circular")
+    assert [x["cycle"] for x in one.payload["cycles"].collect()] == [["a.py", "b.py", "c.py", "a.py"]]
+    monkeypatch.setattr(cycles, "DFS_EDGES", 2)
+    many = e.query("circular")
+    assert [(x["cycle"][0], x["length"]) for x in many.payload["cycles"].collect()] == [("a.py", 3)] and many.summary == one.summary
 
 
 def test_scan_and_git(spark, tmp_path):
@@ -155,6 +182,11 @@ def test_scan_and_git(spark, tmp_path):
     e = Engine(spark)
     assert e.index(str(tmp_path))["total"] == 2
     assert {r["path"] for r in e.files.collect()} == {"src/a.py", "src/library/c.ts"}
+    (tmp_path / "src/odd[1]{a}.py").write_text("def f():\n    pass\n")
+    from topograph.sources.files import scan
+
+    assert [r["path"] for r in scan(spark, str(tmp_path), only=spark.createDataFrame([("src/odd[1]{a}.py",), ("gone.py",)], "path string")).collect()] == ["src/odd[1]{a}.py"]
+    (tmp_path / "src/odd[1]{a}.py").unlink()
     from topograph.sources.files import changed_paths
 
     assert changed_paths(str(tmp_path)) == []

@@ -83,6 +83,18 @@ def back_edge_cycles(graph: Graph, relation: str = "imports", scope: str | None
     return edges.groupBy(F.lit("all")).applyInPandas(_search, "cycle array<string>, length int, ord int").orderBy("length", "ord")
 
 
+def circular(graph: Graph, relation: str = "imports", scope: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cycle, length, ord) and (file_path) of what lies on cycles. Graphs of over DFS_EDGES edges give their strong components, each as its smallest id and its size, in place of single cycles."""
+    edges = cut(cycle_edges(graph, relation, scope), "cycle-edges")
+    if edges.count() <= DFS_EDGES:
+        found = cut(back_edge_cycles(graph, relation, scope), "cycles")
+        return found, impacted_files(found)
+    members = strong_components(edges)
+    sizes = members.groupBy("component").agg(F.count("*").cast("int").alias("length"))
+    groups = sizes.select(F.array("component", "component").alias("cycle"), "length", F.lit(0).alias("ord"))
+    return groups, members.select(F.col("id").alias("file_path"))
+
+
 def impacted_files(cycles: DataFrame) -> DataFrame:
     return cycles.select(F.explode("cycle").alias("file_path")).distinct()
 

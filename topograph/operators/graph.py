@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_query
 from ..schema import EDGES, MODULE_KINDS, NODES
+from ..storage import cut
 
+#: Ids of a frontier that a step broadcasts; a larger one meets the edges by a shuffle.
+FRONTIER = 1_000_000
 #: Best first: the classes of a lookup.
 EXACT, FILE_SUFFIX, SYMBOL_SUFFIX, PATH_SUFFIX, FUZZY = range(1, 6)
 
@@ -99,7 +102,7 @@ class Graph:
     def without_files(self, paths: DataFrame) -> Graph:
         """paths: a column of paths."""
         paths = paths.toDF("gone").distinct()
-        dead = self.nodes.join(paths, (F.col("file_path") == F.col("gone")) | (F.col("id") == F.col("gone")), "left_semi").select(F.col("id").alias("gone")).union(paths).distinct()
+        dead = self.nodes.join(paths, F.col("file_path") == F.col("gone"), "left_semi").select(F.col("id").alias("gone")).union(paths).distinct()
         nodes = self.nodes.join(dead, F.col("id") == F.col("gone"), "left_anti")
         edges = self.edges.join(dead, F.col("src") == F.col("gone"), "left_anti").join(dead, F.col("dst") == F.col("gone"), "left_anti")
         return Graph(nodes, edges)
@@ -109,20 +112,29 @@ class Graph:
     def levels(self, roots: DataFrame, direction: str = "both", depth: int = 2) -> DataFrame:
         """(id, depth) of what is reached from the roots, a frame with a column id, in at most so many steps.
 
-        One plan without loops over data: each step joins the frontier with the edges and keeps the least depth of each id, so that a step reads
-        its predecessor once and the join finds the state already partitioned by id. Ids without a node are passed through.
+        Each step joins only the ids found by the step before, broadcast if they are FRONTIER at most, and what it finds is written: edges
+        aren't shuffled for a small frontier, and a step without new ids is the last. Ids without a node are passed through.
         """
-        state = roots.select("id").distinct().join(self.nodes.select("id"), "id", "left_semi").withColumn("depth", F.lit(0))
-        steps = self.edges.select("src", "dst")
-        if direction == "inbound":
-            steps = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        elif direction == "both":
-            steps = steps.union(steps.select("dst", "src"))
+        found = frontier = cut(roots.select("id").distinct().join(self.nodes.select("id"), "id", "left_semi").withColumn("depth", F.lit(0)), "level")
         for k in range(depth):
-            reached = state.join(steps, (F.col("id") == F.col("src")) & (F.col("depth") == k), "left")
-            rows = F.array(F.struct(F.col("id").alias("id"), F.col("depth").alias("depth")), F.struct(F.col("dst").alias("id"), F.lit(k + 1).alias("depth")))
-            state = reached.select(F.explode(rows).alias("r")).select("r.id", "r.depth").filter("id is not null").groupBy("id").agg(F.min("depth").alias("depth"))
-        return state
+            n = frontier.count()
+            if not n:
+                break
+            near = F.broadcast(frontier.select("id")) if n <= FRONTIER else frontier.select("id")
+            reached = self.steps(direction).join(near, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+            frontier = cut(reached.join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(k + 1)), "level")
+            found = found.union(frontier)
+        return found
+
+    def steps(self, direction: str) -> DataFrame:
+        """(src, dst) of each way along an edge."""
+        steps = self.edges.select("src", "dst")
+        back = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return {"outbound": steps, "inbound": back, "both": steps.union(back)}[direction]
+
+    def kept(self) -> Graph:
+        """The graph as written tables, for questions that read it several times."""
+        return Graph(cut(self.nodes, "nodes"), cut(self.edges, "graph-edges"))
 
     def traverse(self, roots: DataFrame, direction: str = "both", depth: int = 2) -> tuple[DataFrame, DataFrame]:
         """Reached nodes with their depth, and the edges seen from those that were expanded."""

@@ -221,41 +221,41 @@ def seen_sql(edges: str, direction: str, depth: int) -> str:
 
 @query(levels_sql(P.USER_SQL, "user_nodes", "user_edges", "'1'", "outbound", 2) + "SELECT id, depth FROM reached")
 def traverse_out_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.g_user(spark, sf_dir).levels(ids(spark, "1"), "outbound", 2)
+    return P.g_user(spark, sf_dir).kept().levels(ids(spark, "1"), "outbound", 2)
 
 
 @query(levels_sql(P.USER_SQL, "user_nodes", "user_edges", "'1'", "inbound", 2) + "SELECT id, depth FROM reached")
 def traverse_in_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.g_user(spark, sf_dir).levels(ids(spark, "1"), "inbound", 2)
+    return P.g_user(spark, sf_dir).kept().levels(ids(spark, "1"), "inbound", 2)
 
 
 @query(levels_sql(P.PART_SQL, "part_nodes", "part_edges", "'7', '9'", "both", 2) + "SELECT id, depth FROM reached")
 def traverse_both_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.g_part(spark, sf_dir).levels(ids(spark, "7", "9"), "both", 2)
+    return P.g_part(spark, sf_dir).kept().levels(ids(spark, "7", "9"), "both", 2)
 
 
 @query(levels_sql(P.PART_SQL, "part_nodes", "part_edges", "'7'", "both", 2) + seen_sql("part_edges", "both", 2))
 def traverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_rows(P.g_part(spark, sf_dir).traverse(ids(spark, "7"), "both", 2)[1])
+    return edge_rows(P.g_part(spark, sf_dir).kept().traverse(ids(spark, "7"), "both", 2)[1])
 
 
 @query(levels_sql(P.STAR_SQL, "star_nodes", "star_edges", "'c7'", "outbound", 3) + "SELECT n.id, name, kind, file_path, seq, depth FROM star_nodes n JOIN reached r ON n.id = r.id")
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.g_star(spark, sf_dir).traverse(ids(spark, "c7"), "outbound", 3)[0].select(*NODE, "depth")
+    return P.g_star(spark, sf_dir).kept().traverse(ids(spark, "c7"), "outbound", 3)[0].select(*NODE, "depth")
 
 
-@query(levels_sql(P.STAR_SQL, "star_nodes", "star_edges", "'o7'", "both", 1) + "SELECT n.id, name, kind, file_path, seq, depth FROM star_nodes n JOIN reached r ON n.id = r.id")
+@query(levels_sql(P.STAR_SQL, "star_nodes", "star_edges", "'o7'", "both", 3) + "SELECT n.id, name, kind, file_path, seq, depth FROM star_nodes n JOIN reached r ON n.id = r.id")
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.g_star(spark, sf_dir).traverse(ids(spark, "o7"), "both", 1)[0].select(*NODE, "depth")
+    return P.g_star(spark, sf_dir).kept().traverse(ids(spark, "o7"), "both", 3)[0].select(*NODE, "depth")
 
 
 @query(
-    f"""WITH {P.PART_SQL}, shown AS (SELECT id FROM part_nodes ORDER BY seq LIMIT 200)
+    f"""WITH {P.PART_SQL}, shown AS (SELECT id FROM part_nodes ORDER BY seq LIMIT 20)
 SELECT src, dst, relation FROM part_edges WHERE src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)"""
 )
 def dependencies_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = P.g_part(spark, sf_dir)
-    shown = A.first_by_seq(graph.nodes, 200).select("id")
+    shown = A.first_by_seq(graph.nodes, 20).select("id")
     return edge_rows(graph.edges.join(shown, F.col("src") == F.col("id"), "left_semi").join(shown, F.col("dst") == F.col("id"), "left_semi"))
 
 
@@ -272,22 +272,22 @@ tiers AS (SELECT id, min(tier) AS tier FROM (SELECT * FROM direct UNION ALL SELE
 
 @query(IMPACT_SQL + "SELECT n.id, name, kind, file_path, seq, tier FROM star_nodes n JOIN tiers t ON n.id = t.id WHERE n.id <> 'p7'")
 def impact_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.impact_tiers(P.g_star(spark, sf_dir), ids(spark, "p7")).select(*NODE, "tier")
+    return A.impact_tiers(P.g_star(spark, sf_dir).kept(), ids(spark, "p7")).select(*NODE, "tier")
 
 
 @query(IMPACT_SQL + "SELECT tier, count(*) AS nodes FROM star_nodes n JOIN tiers t ON n.id = t.id WHERE n.id <> 'p7' GROUP BY tier")
 def impact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.impact_tiers(P.g_star(spark, sf_dir), ids(spark, "p7")).groupBy("tier").agg(F.count("*").alias("nodes"))
+    return A.impact_tiers(P.g_star(spark, sf_dir).kept(), ids(spark, "p7")).groupBy("tier").agg(F.count("*").alias("nodes"))
 
 
 CHANGED_SQL = (
     f"WITH RECURSIVE {P.STAR_SQL}, changed AS (SELECT id FROM star_nodes WHERE file_path = 'part/Brand#11'), "
-    "walk(id, depth) AS (SELECT id, 0 FROM changed UNION SELECT src, depth + 1 FROM walk JOIN star_edges ON id = dst WHERE depth < 2), reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id) "
+    "walk(id, depth) AS (SELECT id, 0 FROM changed UNION SELECT src, depth + 1 FROM walk JOIN star_edges ON id = dst WHERE depth < 3), reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id) "
 )
 
 
 def _diff(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return A.diff_impact(P.g_star(spark, sf_dir), spark.createDataFrame([("part/Brand#11",)], "path string"), 2)
+    return A.diff_impact(P.g_star(spark, sf_dir).kept(), spark.createDataFrame([("part/Brand#11",)], "path string"), 3)
 
 
 @query(CHANGED_SQL + "SELECT DISTINCT file_path FROM star_nodes n JOIN reached r ON n.id = r.id WHERE file_path <> 'part/Brand#11'")
@@ -300,7 +300,7 @@ def diff_changed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diff(spark, sf_dir)["changed_nodes"].select(*NODE)
 
 
-@query(CHANGED_SQL + "SELECT id, name, kind, file_path, seq FROM star_nodes WHERE id IN (SELECT src FROM star_edges WHERE relation = 'calls' AND dst IN (SELECT id FROM reached WHERE depth < 2)) AND file_path <> 'part/Brand#11'")
+@query(CHANGED_SQL + "SELECT id, name, kind, file_path, seq FROM star_nodes WHERE id IN (SELECT src FROM star_edges WHERE relation = 'calls' AND dst IN (SELECT id FROM reached WHERE depth < 3)) AND file_path <> 'part/Brand#11'")
 def diff_breaking_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diff(spark, sf_dir)["breaking_callers"].select(*NODE)
 
@@ -322,21 +322,21 @@ def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_sql(tail: str) -> str:
     return f"""WITH RECURSIVE {P.USER_SQL},
 walk(id, depth, trail) AS (SELECT '1', 0, CAST([] AS BIGINT[]) UNION ALL
-  SELECT e.dst, w.depth + 1, list_append(w.trail, e.edge_id) FROM (SELECT id, depth, min(trail) AS trail FROM walk GROUP BY id, depth) w JOIN user_edges e ON e.src = w.id WHERE w.depth < 3),
+  SELECT e.dst, w.depth + 1, list_append(w.trail, e.edge_id) FROM (SELECT id, depth, min(trail) AS trail FROM walk GROUP BY id, depth) w JOIN user_edges e ON e.src = w.id WHERE w.depth < 10),
 best AS (SELECT id, depth, min(trail) AS trail FROM walk GROUP BY id, depth QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth) = 1)
 {tail}"""
 
 
 @query(path_sql("SELECT id, depth FROM best"))
 def shortest_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.trails(P.g_user(spark, sf_dir), ids(spark, "1"), 3).select("id", "depth")
+    return paths.trails(P.g_user(spark, sf_dir).kept(), ids(spark, "1"), 10).select("id", "depth")
 
 
 @query(path_sql(", goal AS (SELECT id, trail FROM best ORDER BY depth DESC, id LIMIT 1), s AS (SELECT unnest(trail) AS edge_id, unnest(range(1, len(trail) + 1)) AS step FROM goal) SELECT CAST(step AS INTEGER) AS step, src, dst, relation FROM s JOIN user_edges USING (edge_id)"))
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = P.g_user(spark, sf_dir)
-    far = paths.trails(graph, ids(spark, "1"), 3).orderBy(F.desc("depth"), "id").limit(1)
-    return paths.shortest_path(graph, ids(spark, "1"), far, 3).select("step", "src", "dst", "relation")
+    graph = P.g_user(spark, sf_dir).kept()
+    far = paths.trails(graph, ids(spark, "1"), 10).orderBy(F.desc("depth"), "id").limit(1)
+    return paths.along(graph, far).select("step", "src", "dst", "relation")
 
 
 # Cycles
@@ -407,12 +407,12 @@ def lint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Slices
 
-SLICE_SQL = levels_sql(P.NATION_SQL, "nation_nodes", "nation_edges", "'2', '3'", "both", 1) + ", sliced AS (SELECT id FROM reached JOIN nation_nodes USING (id)), s AS (SELECT src, dst, relation, dst IN (SELECT id FROM sliced) AS inside FROM nation_edges WHERE src IN (SELECT id FROM sliced))"
+SLICE_SQL = levels_sql(P.NATION_SQL, "nation_nodes", "nation_edges", "'2', '3'", "both", 2) + ", sliced AS (SELECT id FROM reached JOIN nation_nodes USING (id)), s AS (SELECT src, dst, relation, dst IN (SELECT id FROM sliced) AS inside FROM nation_edges WHERE src IN (SELECT id FROM sliced))"
 
 
 @query(SLICE_SQL + "SELECT src, dst, relation, inside FROM s")
 def slice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.domain_slice(P.g_nation(spark, sf_dir), ids(spark, "2", "3"), 1)[1].select("src", "dst", "relation", "inside")
+    return A.domain_slice(P.g_nation(spark, sf_dir).kept(), ids(spark, "2", "3"), 2)[1].select("src", "dst", "relation", "inside")
 
 
 @query(
@@ -421,7 +421,7 @@ def slice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT internal, boundary, CAST(CASE WHEN internal + boundary = 0 THEN 100 ELSE (200 * internal + internal + boundary) // (2 * (internal + boundary)) END AS BIGINT) AS cohesion_centi FROM c"""
 )
 def slice_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.cohesion(A.domain_slice(P.g_nation(spark, sf_dir), ids(spark, "2", "3"), 1)[1])
+    return A.cohesion(A.domain_slice(P.g_nation(spark, sf_dir).kept(), ids(spark, "2", "3"), 2)[1])
 
 
 # Contracts

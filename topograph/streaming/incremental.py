@@ -34,9 +34,9 @@ def refreshed(cached: DataFrame, fresh: DataFrame, changes: DataFrame) -> DataFr
 
 
 def save(facts: DataFrame, files: DataFrame, path: str) -> None:
-    """A snapshot: extracted facts and the state of the files that they come from."""
+    """A snapshot: extracted facts, and the files that they come from with their texts."""
     facts.write.mode("overwrite").parquet(f"{path}/facts")
-    files.select("path", "sha256", "mtime").withColumn("version", F.lit(SNAPSHOT_VERSION)).write.mode("overwrite").parquet(f"{path}/files")
+    files.select("path", "content", "mtime", "sha256").withColumn("version", F.lit(SNAPSHOT_VERSION)).write.mode("overwrite").parquet(f"{path}/files")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
