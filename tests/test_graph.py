@@ -8,7 +8,7 @@ from topograph.functions import columns as C
 from topograph.operators import analytics as A
 from topograph.operators import cycles, paths
 from topograph.operators.graph import Graph
-from topograph.plans import catalog
+from topograph.plans import catalog, source_catalog  # noqa: F401  the latter adds its queries
 from topograph.plans.render import mermaid
 from topograph.schema import EDGES, NODES
 from topograph.streaming import incremental, watch

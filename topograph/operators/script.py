@@ -362,6 +362,8 @@ class Reader:
             if self.text(at) != "(" or self.text(i - 1) in ("function", "new", "class", "interface"):
                 continue
             before = self.text(i - 1)
+            if x.text == "async" and self.text(self.partner.get(at, at) + 1) in ("=>", ":"):
+                continue  # an arrow function
             if self.text(self.partner.get(at, at) + 1) == "{" and before not in (".", "?."):
                 continue  # a method of an object or class
             if before in (".", "?."):
