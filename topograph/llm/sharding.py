@@ -9,12 +9,14 @@ of a row changes only if the new shard's is larger. The sizes of shards differ b
 
 Defined cases: a null text has no bytes, so its size is 16 and its text_crc32 null; a null key is a key like any other;
 repeated rows stay and may swap places among themselves; equal texts under different keys are not kept together; an empty table
-gives an empty result; other columns are written along, and columns named like result columns are replaced.
+gives an empty result; other columns are written along, and columns named like result columns are replaced. The order depends on the seed and the rows alone, but for rows of a key and
+text that come more than REPEATS times: these are spread over the buckets of their shard by where they are read, as one bucket might not hold them.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ from .common import shared_dir, widened
 
 #: Text bytes that a bucket should hold: a task needs a few times as much memory.
 BUCKET_BYTES = 48 << 20
+#: Rows of one key and text that one bucket takes.
+REPEATS = 10_000
+#: Tasks that the buckets are dealt to, at most; of more buckets a task takes one after the other.
+TASKS = 50_000
 #: Buckets whose first slots a join may broadcast; more are joined by a shuffle.
 BROADCAST_BUCKETS = 1_000_000
 OWN = ("shard", "grown_shard", "bucket", "place", "slot", "size", "text_crc32", "law")
@@ -45,22 +51,28 @@ def external_shuffle(df: DataFrame, shards: int, key: str = "doc_id", text: str
     total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
     k = F.col(f"`{key}`")
+    salt = F.lit(0)
+    if buckets > 1:
+        tag = F.xxhash64(k, F.col(f"`{text}`"))
+        often = df.groupBy(tag.alias("tag")).count().filter(F.col("count") > REPEATS).select("tag").collect()  # one of REPEATS rows at most
+        if often:
+            salt = F.when(reduce(lambda a, b: a | b, (tag.isin([r["tag"] for r in often[i : i + 1000]]) for i in range(0, len(often), 1000))), F.spark_partition_id()).otherwise(0)
     dealt = df.withColumns({
         "shard": rendezvous(k, shards, seed),
         "grown_shard": rendezvous(k, shards + 1, seed),
-        "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), k, F.col(f"`{text}`"), F.spark_partition_id()), F.lit(buckets)).cast("long"),
+        "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), k, F.col(f"`{text}`"), salt), F.lit(buckets)).cast("long"),
         "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long"),
         "text_crc32": F.crc32(text),
     })
     schema = widened(dealt, place="long")
 
     def permute(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by([(key, "ascending"), ("text_crc32", "ascending"), ("size", "ascending")])
+        rows = rows.combine_chunks().sort_by([(key, "ascending"), ("text_crc32", "ascending"), ("size", "ascending"), (text, "ascending")])
         own = np.random.default_rng([seed, rows["shard"][0].as_py(), rows["bucket"][0].as_py()])
         return rows.take(pa.array(own.permutation(rows.num_rows))).append_column("place", pa.array(np.arange(rows.num_rows)))  # permutation() is Fisher-Yates
 
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    dealt.groupBy("shard", "bucket").applyInArrow(permute, schema).write.parquet(path)
+    dealt.repartition(min(TASKS, shards * buckets), "shard", "bucket").groupBy("shard", "bucket").applyInArrow(permute, schema).write.parquet(path)
     written = spark.read.schema(schema).parquet(path)
     if buckets == 1:
         return written.withColumns({"slot": F.col("place"), "law": F.lit("key")})
