@@ -47,7 +47,8 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit:
 
 def units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Unit vectors in double precision."""
-    x = np.array(column.to_pylist(), np.float64)
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = values.flatten().to_numpy().astype(np.float64).reshape(len(values), -1)
     x /= np.abs(x).max(1, keepdims=True)  # else squares of tiny components vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -57,7 +58,8 @@ class Index:
         rng = np.random.default_rng(8)
         self.reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
         self.centroids = k_means(sample, lists, 8, rng, True)
-        self.apart = np.sqrt(np.maximum(0, ((self.centroids[:, None] - self.centroids[None]) ** 2).sum(2)))
+        squares = (self.centroids * self.centroids).sum(1)
+        self.apart = np.sqrt(np.maximum(0, squares[:, None] + squares[None] - 2 * self.centroids @ self.centroids.T))
         residuals = sample - self.centroids[np.argmax(sample @ self.centroids.T, 1)]
         self.parts = [p for p in np.array_split(np.arange(sample.shape[1]), SUBSPACES) if len(p)]
         self.books = [k_means(residuals[:, p], CODES, 6, rng, False) for p in self.parts]
