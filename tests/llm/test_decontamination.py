@@ -1,5 +1,6 @@
 """Leaks with names that open sentences, in another case, with changed words and gaps, and of items without enough words."""
 
+from topograph.llm import decontaminate
 from topograph.llm.decontaminate import Benchmark, Canon
 
 
@@ -29,3 +30,12 @@ def test_items_without_enough_words():
     assert leaks("Two words", "Before. Two words.\nAfter", "two words") == [[(1.0, True)]] * 2
     assert leaks("Paris", "Capital?\nParis\nNo", "He went to Paris with her.") == [[(1.0, True)], []]
     assert leaks("3 - 4 = -1", "so 3 - 4 = -1 here", "so 3 + 4 = -1 here", "so 3 - 4 = 1 here") == [[(1.0, True)], [], []]
+
+
+def test_equal_numbers_of_different_units():
+    item = "The farm lies 3 km from the mill and 3 miles from the old church near the river bank."
+    own = decontaminate.Benchmark([(1, item)])
+    texts = [item.replace("3 km", "4 km").replace("3 miles", "5 miles"), item.replace("3 km", "4 km")]
+    assert [[x[0] for x in found] for found in own.leaks(texts, decontaminate.Canon())] == [[1], [1]]
+    same = decontaminate.Benchmark([(1, item.replace("miles", "km"))])
+    assert same.leaks([item.replace("miles", "km").replace("3 km from the old", "7 km from the old")], decontaminate.Canon()) == [[]]

@@ -255,6 +255,8 @@ class Benchmark:
                     forth, back = defaultdict(set), defaultdict(set)
                     for k in np.flatnonzero(agree & (values[here] | names[here])).tolist():
                         q, x, y = here[k], cores[here[k]], words[p[k]]
+                        if own[q] == SLOT[NUM] and q + 1 < n and own[q + 1] == SLOT[UNIT] and p[k] + 1 < len(words):  # equal numbers of different units are different values
+                            x, y = (x, cores[q + 1]), (y, words[p[k] + 1])
                         if values[q] or x != y or not opens[q] or x in inner:
                             forth[x].add(y), back[y].add(x)
                     if all(len(x) == 1 for x in (*forth.values(), *back.values())):
