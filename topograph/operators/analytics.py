@@ -13,8 +13,8 @@ from .graph import Graph, in_module
 
 # The rules where none are given.
 DEFAULT_RULES = (
-    ("core", "views", "Core layer should not depend directly on Presentation/Views layer."),
-    ("common", "modules", "Shared common libraries must not inversely depend on business modules."),
+    ("core", "views", "The core has no business with views."),
+    ("common", "modules", "What is common can't build on single modules."),
 )
 #: Rules that a join may broadcast.
 BROADCAST_RULES = 10_000
@@ -51,7 +51,9 @@ def degrees(graph: Graph) -> DataFrame:
 
 
 def top_hubs(graph: Graph, n: int = 10) -> DataFrame:
-    return graph.nodes.join(degrees(graph), "id").orderBy(F.desc("degree"), "seq").limit(n).select("id", "name", "kind", "file_path", "degree", "in_degree", "out_degree")
+    """Ranked by ids and seq alone; only the n hubs meet the other columns of nodes."""
+    hubs = degrees(graph).join(graph.nodes.select("id", "seq"), "id").orderBy(F.desc("degree"), "seq").limit(n)
+    return graph.nodes.drop("seq").join(F.broadcast(hubs), "id").orderBy(F.desc("degree"), "seq").select("id", "name", "kind", "file_path", "degree", "in_degree", "out_degree")
 
 
 def totals(graph: Graph) -> DataFrame:

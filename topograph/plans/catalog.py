@@ -77,7 +77,7 @@ def stability_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAST(floor(avg(instability_milli) + 0.5) AS BIGINT) AS average_instability_milli FROM m"""
 )
 def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.totals(P.g_part(spark, sf_dir))
+    return A.totals(P.g_part(spark, sf_dir).kept())
 
 
 @query(
