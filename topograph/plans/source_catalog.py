@@ -104,7 +104,7 @@ QUESTIONS: dict[str, tuple[str, Query]] = {
     "source_client_calls": ("file_path VARCHAR, line INTEGER, method VARCHAR, url VARCHAR, norm_url VARCHAR", lambda spark, d: extract.client_calls(files(spark)).select("file_path", "line", "method", "url", "norm_url")),
     "source_server_endpoints": ("file_path VARCHAR, line INTEGER, method VARCHAR, url VARCHAR, norm_url VARCHAR", lambda spark, d: extract.server_endpoints(files(spark)).select("file_path", "line", "method", "url", "norm_url")),
     "source_resolution": ("file_path VARCHAR, specifier VARCHAR, resolved VARCHAR, is_phantom BOOLEAN", lambda spark, d: resolve.resolved(facts(spark, "import").unionByName(_aliased(spark), allowMissingColumns=True), files(spark).select("path"), config())),
-    "source_graph_nodes": ("id VARCHAR, name VARCHAR, kind VARCHAR, file_path VARCHAR, line INTEGER", lambda spark, d: engine(spark).graph.nodes.select("id", "name", "kind", "file_path", "line")),
+    "source_graph_nodes": ("id VARCHAR, name VARCHAR, kind VARCHAR, file_path VARCHAR, line INTEGER", lambda spark, d: engine(spark).graph.nodes.select("id", "name", "kind", "file_path", F.coalesce("line", F.lit(0)).alias("line"))),
     "source_graph_edges": ("src VARCHAR, relation VARCHAR, dst VARCHAR, n BIGINT", lambda spark, d: engine(spark).graph.edges.groupBy("src", "relation", "dst").agg(F.count("*").alias("n"))),
     "source_node_order": ("place INTEGER, id VARCHAR", lambda spark, d: engine(spark).graph.nodes.filter("kind in ('file', 'component') and metadata is null").select(F.row_number().over(Window.orderBy("seq")).alias("place"), "id")),
     "source_project_files": ("item VARCHAR, value VARCHAR", lambda spark, d: spark.createDataFrame([*((f"alias {x}", ",".join(config().expand(x))) for x in ("@/a/b", "~lib", "other")), ("go", config().go_module), ("rust", config().rust_crate), ("base", config().base), ("json", without_comments('{"a": "//", /* b */ "c": [1,]}'))], "item string, value string")),
@@ -320,62 +320,62 @@ web/index.ts | ./util | web/util.ts | false
 web/index.ts | @/client | web/client.ts | false
 web/index.ts | ~lib | web/util.ts | false
 @ source_graph_nodes
-com/acme/Service.java | com/acme/Service.java | file | com/acme/Service.java | -
+com/acme/Service.java | com/acme/Service.java | file | com/acme/Service.java | 0
 com/acme/Service.java#Base:10 | Base | class | com/acme/Service.java | 10
 com/acme/Service.java#Kind:14 | Kind | class | com/acme/Service.java | 14
 com/acme/Service.java#Named:12 | Named | interface | com/acme/Service.java | 12
 com/acme/Service.java#Service.run:6 | Service.run | function | com/acme/Service.java | 6
 com/acme/Service.java#Service:4 | Service | class | com/acme/Service.java | 4
-com/acme/Util.java | com/acme/Util.java | file | com/acme/Util.java | -
+com/acme/Util.java | com/acme/Util.java | file | com/acme/Util.java | 0
 com/acme/Util.java#Util.twice:3 | Util.twice | function | com/acme/Util.java | 3
 com/acme/Util.java#Util:2 | Util | class | com/acme/Util.java | 2
-db | db | file | db | -
-db/conn.go | db/conn.go | file | db/conn.go | -
+db | db | file | db | 0
+db/conn.go | db/conn.go | file | db/conn.go | 0
 db/conn.go#Open:6 | Open | function | db/conn.go | 6
-java/util.java | java/util.java | file | java/util.java | -
-json.py | json.py | file | json.py | -
-loop/a.py | loop/a.py | file | loop/a.py | -
-loop/b.py | loop/b.py | file | loop/b.py | -
-loop/c.py | loop/c.py | file | loop/c.py | -
-models/user.go | models/user.go | file | models/user.go | -
+java/util.java | java/util.java | file | java/util.java | 0
+json.py | json.py | file | json.py | 0
+loop/a.py | loop/a.py | file | loop/a.py | 0
+loop/b.py | loop/b.py | file | loop/b.py | 0
+loop/c.py | loop/c.py | file | loop/c.py | 0
+models/user.go | models/user.go | file | models/user.go | 0
 models/user.go#Store.Load:10 | Store.Load | function | models/user.go | 10
 models/user.go#Store:5 | Store | interface | models/user.go | 5
 models/user.go#User.Save:7 | User.Save | function | models/user.go | 7
 models/user.go#User:3 | User | class | models/user.go | 3
-os.py | os.py | file | os.py | -
-pkg/service.py | pkg/service.py | file | pkg/service.py | -
+os.py | os.py | file | os.py | 0
+pkg/service.py | pkg/service.py | file | pkg/service.py | 0
 pkg/service.py#Base:3 | Base | class | pkg/service.py | 3
 pkg/service.py#Greeter.greet:7 | Greeter.greet | function | pkg/service.py | 7
 pkg/service.py#Greeter.note:10 | Greeter.note | function | pkg/service.py | 10
 pkg/service.py#Greeter:6 | Greeter | class | pkg/service.py | 6
 pkg/service.py#run:13 | run | function | pkg/service.py | 13
-pkg/util.py | pkg/util.py | file | pkg/util.py | -
+pkg/util.py | pkg/util.py | file | pkg/util.py | 0
 pkg/util.py#shout:3 | shout | function | pkg/util.py | 3
-src/auth.rs | src/auth.rs | file | src/auth.rs | -
+src/auth.rs | src/auth.rs | file | src/auth.rs | 0
 src/auth.rs#check:1 | check | function | src/auth.rs | 1
-src/model.rs | src/model.rs | file | src/model.rs | -
+src/model.rs | src/model.rs | file | src/model.rs | 0
 src/model.rs#Point.area:8 | Point.area | function | src/model.rs | 8
 src/model.rs#Point:3 | Point | class | src/model.rs | 3
 src/model.rs#Shape:4 | Shape | interface | src/model.rs | 4
 src/model.rs#Side:6 | Side | class | src/model.rs | 6
 src/model.rs#free:12 | free | function | src/model.rs | 12
-srv/Api.java | srv/Api.java | file | srv/Api.java | -
+srv/Api.java | srv/Api.java | file | srv/Api.java | 0
 srv/Api.java#Api.any:8 | Api.any | function | srv/Api.java | 8
 srv/Api.java#Api.user:4 | Api.user | function | srv/Api.java | 4
 srv/Api.java#Api:2 | Api | class | srv/Api.java | 2
-srv/api.py | srv/api.py | file | srv/api.py | -
+srv/api.py | srv/api.py | file | srv/api.py | 0
 srv/api.py#add:2 | add | function | srv/api.py | 2
 srv/api.py#drop:5 | drop | function | srv/api.py | 5
-srv/main.go | srv/main.go | file | srv/main.go | -
+srv/main.go | srv/main.go | file | srv/main.go | 0
 srv/main.go#Routes:2 | Routes | function | srv/main.go | 2
-web/Card.vue | web/Card.vue | component | web/Card.vue | -
+web/Card.vue | web/Card.vue | component | web/Card.vue | 0
 web/Card.vue#load:3 | load | function | web/Card.vue | 3
-web/Panel.svelte | web/Panel.svelte | component | web/Panel.svelte | -
-web/SideBar.vue | web/SideBar.vue | component | web/SideBar.vue | -
-web/client.ts | web/client.ts | file | web/client.ts | -
+web/Panel.svelte | web/Panel.svelte | component | web/Panel.svelte | 0
+web/SideBar.vue | web/SideBar.vue | component | web/SideBar.vue | 0
+web/client.ts | web/client.ts | file | web/client.ts | 0
 web/client.ts#more:4 | more | function | web/client.ts | 4
 web/client.ts#user:1 | user | function | web/client.ts | 1
-web/index.ts | web/index.ts | file | web/index.ts | -
+web/index.ts | web/index.ts | file | web/index.ts | 0
 web/index.ts#Base:5 | Base | class | web/index.ts | 5
 web/index.ts#Box.area:7 | Box.area | function | web/index.ts | 7
 web/index.ts#Box.size:10 | Box.size | function | web/index.ts | 10
@@ -383,7 +383,7 @@ web/index.ts#Box:6 | Box | class | web/index.ts | 6
 web/index.ts#Shape:4 | Shape | interface | web/index.ts | 4
 web/index.ts#b:13 | b | variable | web/index.ts | 13
 web/index.ts#main:12 | main | function | web/index.ts | 12
-web/util.ts | web/util.ts | file | web/util.ts | -
+web/util.ts | web/util.ts | file | web/util.ts | 0
 web/util.ts#Id:5 | Id | type | web/util.ts | 5
 web/util.ts#helper:1 | helper | function | web/util.ts | 1
 web/util.ts#twice:4 | twice | function | web/util.ts | 4
