@@ -34,6 +34,11 @@ def test_url_filter(spark):
         want = max(fits)[1:] if fits else (None, "allow")
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, *want), u
     assert url_filter.url_filter(df, []).filter("verdict <> 'allow'").count() == 0 and url_filter.url_filter(df.limit(0), queries.RULES).count() == 0
+    for bad in ("../x", "/x", "com"):
+        with pytest.raises(ValueError, match="not a rule"):
+            url_filter.Rule(bad, "block")
+    upper = url_filter.url_filter(df, [url_filter.Rule("X.Net/es/", "block")]).filter("verdict = 'block'").collect()
+    assert [(r["page_id"], r["rule"]) for r in upper] == [(4, "X.Net/es/")]
     star = url_filter.url_filter(df, [url_filter.Rule("com/*/1", "block")])
     assert [r["page_id"] for r in star.filter("verdict = 'block'").orderBy("page_id").collect()] == [1, 10]
 

@@ -36,12 +36,13 @@ class Rule:
     action: str
 
     def __post_init__(self) -> None:
-        if "/" not in self.text or self.text.startswith("/") or self.action not in ("allow", "block"):
+        if "/" not in self.text or not self.host.strip(".") or self.action not in ("allow", "block"):
             raise ValueError(f"not a rule: {self.action} {self.text}")
 
     @property
     def host(self) -> str:
-        return self.text.partition("/")[0]
+        """With A-Z as a-z, as hosts of urls are compared."""
+        return "".join(c.lower() if c.isascii() else c for c in self.text.partition("/")[0])
 
     @property
     def path(self) -> str:
